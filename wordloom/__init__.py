@@ -1,0 +1 @@
+"""Natural-language analytics on PySpark."""

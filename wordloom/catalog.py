@@ -1,0 +1,4 @@
+"""All registered queries of the library with their DuckDB equivalents."""
+
+QUERIES = {}
+ORACLE_SQL = {}
