@@ -51,12 +51,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """Add a stable identity per row: file and row number. A frame that is not a plain scan is first written to a work table."""
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a scan whose rows have file identities, else a work table of it. Needed once before asking for identities twice."""
     try:
-        return _file_rows(df)
+        _file_rows(df)
+        return df
     except AnalysisException:
-        return _file_rows(work_table(df, "rows"))
+        return work_table(df, "rows")
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """Add a stable identity per row: file and row number. A frame that is not a plain scan is first written to a work table."""
+    return _file_rows(plain(df))
 
 
 def _file_rows(df: DataFrame) -> DataFrame:

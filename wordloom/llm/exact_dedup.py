@@ -181,8 +181,9 @@ def dedup(docs: DataFrame, bits: int = 128) -> DataFrame:
 
 def keep_first_rows(docs: DataFrame) -> DataFrame:
     """Filter form: the rows of ``docs`` that stay, with their own columns. The dropped rows' identities are joined, not the kept ones'."""
+    docs = C.plain(docs)
     tagged = C.with_row_id(docs)
-    gone = C.work_table(dedup(tagged.drop(*C.ROW)).where("not kept").select(F.col("row_file").alias(C.ROW[0]), F.col("row_no").alias(C.ROW[1])), "dropped")
+    gone = C.work_table(dedup(docs).where("not kept").select(F.col("row_file").alias(C.ROW[0]), F.col("row_no").alias(C.ROW[1])), "dropped")
     return tagged.join(C.checked_broadcast(gone), [*C.ROW], "left_anti").select(*docs.columns)
 
 

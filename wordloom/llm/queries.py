@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, toxicity
+from . import exact_dedup, set_join, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("row_file", "row_no", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {
+    "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op9_ngram_jaccard_join": set_join.ORACLE_SQL,
+}
