@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprint, mixing, packing, secrets, set_join, toxicity
+from . import chat, cross_parsing, exact_dedup, fingerprint, line_dedup, mixing, packing, secrets, set_join, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +42,18 @@ def op7_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents")).drop("row_file", "row_no")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("row_file", "row_no", "kept")
 
 
+def op10_cross_parsing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parsing.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -54,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_phrase_fingerprints": op7_phrase_fingerprints,
+    "op8_line_dedup": op8_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_cross_parsing_score": op10_cross_parsing_score,
 }
 
 ORACLE_SQL = {
