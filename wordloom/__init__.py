@@ -1 +1,10 @@
-"""Natural-language analytics on PySpark."""
+"""Natural-language analytics on PySpark.
+
+Functions of this package that run in Python workers are pickled by value, so a cluster's workers need not have it installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
