@@ -1,10 +1 @@
-"""Operators for preparing language-model training data. Nothing outside this folder imports it.
-
-Functions that run on executors are pickled by value, so a cluster need not have the package installed on its workers.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for preparing language-model training data. Nothing outside this folder imports it."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,30 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from wordloom.sources.storage import work_path
+
 ROW = ("__wl_file", "__wl_row")
 #: Rows of at most 16 bytes a key that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one is made only in local mode where that is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut, and safe against lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wordloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
