@@ -1,0 +1,38 @@
+"""Every registered query against its DuckDB equivalent on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from wordloom import catalog
+
+DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+
+
+def rows(df):
+    df = df[sorted(df.columns)].astype(object)
+    return sorted((tuple(None if x != x or x is None else x for x in r) for r in df.itertuples(index=False, name=None)), key=repr)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in os.listdir(DIR):
+        con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DIR}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", [*catalog.QUERIES])
+def test_query(spark, duck, name):
+    got, want = catalog.QUERIES[name](spark, DIR).toPandas(), duck.sql(catalog.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert [tuple(map(str, r)) for r in rows(got)] == [tuple(map(str, r)) for r in rows(want)]
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() == 200
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
