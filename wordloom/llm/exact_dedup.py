@@ -184,7 +184,7 @@ def keep_first_rows(docs: DataFrame) -> DataFrame:
     docs = C.plain(docs)
     tagged = C.with_row_id(docs)
     gone = C.work_table(dedup(docs).where("not kept").select(F.col("row_file").alias(C.ROW[0]), F.col("row_no").alias(C.ROW[1])), "dropped")
-    return tagged.join(C.checked_broadcast(gone), [*C.ROW], "left_anti").select(*docs.columns)
+    return tagged.join(C.checked_broadcast(gone), [*C.ROW], "left_anti").select(*C.own_columns(docs))
 
 
 ORACLE_SQL = """

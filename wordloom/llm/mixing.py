@@ -78,7 +78,7 @@ def resample(docs: DataFrame) -> DataFrame:
     docs = C.plain(docs)
     taken = C.work_table(mix(docs).where("copies > 0").select(F.col("row_file").alias(C.ROW[0]), F.col("row_no").alias(C.ROW[1]), F.col("copies").alias("__wl_copies")), "taken")
     found = C.with_row_id(docs).join(C.checked_broadcast(taken), [*C.ROW])
-    return found.withColumn("__wl_copy", F.explode(F.sequence(F.lit(1), F.col("__wl_copies").cast("int")))).select(*docs.columns)
+    return found.withColumn("__wl_copy", F.explode(F.sequence(F.lit(1), F.col("__wl_copies").cast("int")))).select(*C.own_columns(docs))
 
 
 ORACLE_SQL = r"""
