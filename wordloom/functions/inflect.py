@@ -59,7 +59,7 @@ class Rules:
         return f"(substr({self.w}, 1, 1) BETWEEN 'A' AND 'Z')"
 
     def vowel_before(self) -> str:
-        return f"(length({self.w}) >= 2 AND substr({self.w}, length({self.w}) - 1, 1) IN ('a', 'e', 'i', 'o', 'u'))"
+        return f"(length({self.w}) >= 2 AND substr({self.w}, length({self.w}) - 1, 1) IN ('o', 'a', 'e', 'u', 'i'))"
 
     def lookup(self, table: str, place: int | None = None) -> list[tuple[str, str]]:
         made: dict[str, list[str]] = {}
@@ -70,7 +70,7 @@ class Rules:
     def noun(self, mode: str) -> list[tuple[str, str]]:
         old = check_mode(mode) == "classical"
         w, ends, among, swap, plus = self.w, self.ends, self.among, self.swap, self.plus
-        out = [(ends("fish", "ois", "sheep", "deer", "pox", "itis"), w), (f"({ends('ese')} AND {self.upper_first()})", w), (among("a2", "a3"), w)]
+        out = [(ends("deer", "fish", "itis", "ois", "pox", "sheep"), w), (f"({ends('ese')} AND {self.upper_first()})", w), (among("a2", "a3"), w)]
         out += self.lookup("a5", old) + self.lookup("a1", old)
         for a, b in zip("man louse mouse tooth goose foot zoon cis sis xis".split(), "men lice mice teeth geese feet zoa ces ses xes".split()):
             out.append((ends(a), swap(a, b)))

@@ -82,7 +82,7 @@ def categories_sql(w: str, mode: str = "modern", dialect: str = inflect.SPARK) -
     """The names of the lexicon categories that the word belongs to, comma-joined in the order above, with the two suffix categories."""
     r = inflect.Rules(w, dialect)
     tests = [(name, r.among(*t[mode == "classical"])) for name, t in CATEGORIES.items() if t[mode == "classical"]]
-    tests += [("herd", r.ends("fish", "ois", "sheep", "deer", "pox", "itis")), ("nationality", f"({r.ends('ese')} AND {r.upper_first()})")]
+    tests += [("herd", r.ends("deer", "fish", "itis", "ois", "pox", "sheep")), ("nationality", f"({r.ends('ese')} AND {r.upper_first()})")]
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in tests) + ")"
 
 

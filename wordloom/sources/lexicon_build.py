@@ -13,10 +13,10 @@ from pathlib import Path
 
 #: Addition files by the table that they extend.
 ADDITIONS = {
-    "irregular_noun": "a1", "uninflected_noun": "a2", "singular_s": "a3", "category_a_as_ae": "a11", "category_a_as_ata": "a12", "category_en_ens_ina": "a13",
-    "category_ex_ices": "a14", "category_ex_exes_ices": "a15", "category_is_ises_ides": "a16", "category_o_os": "a17", "category_o_os_i": "a18", "category_on_a": "a19",
-    "category_um_a": "a20", "category_um_ums_a": "a21", "category_us_uses_i": "a22", "category_us_uses_us": "a23", "category_any_i": "a24", "category_any_im": "a25",
-    "category_general_generals": "a26",
+    "category_um_a": "a20", "category_on_a": "a19", "category_um_ums_a": "a21", "category_en_ens_ina": "a13", "category_a_as_ata": "a12",
+    "category_a_as_ae": "a11", "category_us_uses_i": "a22", "category_o_os_i": "a18", "category_any_i": "a24", "category_any_im": "a25",
+    "uninflected_noun": "a2", "irregular_noun": "a1", "singular_s": "a3", "category_ex_exes_ices": "a15", "category_ex_ices": "a14",
+    "category_is_ises_ides": "a16", "category_general_generals": "a26", "category_o_os": "a17", "category_us_uses_us": "a23",
 }
 PAIRS = {"a5", "a6", "a7", "a8"}
 
