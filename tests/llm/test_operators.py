@@ -325,6 +325,20 @@ def test_toxicity(docs, toxic_table, empty):
     assert toxicity.train(empty, known.limit(0)).weights == {}
 
 
+def test_toxicity_of_few_labels(spark, tmp_path):
+    """Eleven toxic and forty clean labels, and a word that clean rows have too, are enough; and words of languages with fewer rows count."""
+    r = random.Random(10)
+    rows = [(i, words(r, 30) + (" zzvile zzrot" if i < 11 else " zzcommon" if i == 50 else ""), "en", "a", 0) for i in range(51)]
+    rows += [(100 + i, words(r, 30) + (" zzcommon" if i < 30 or i % 20 == 0 else ""), "de", "a", 0) for i in range(240)]
+    table = write(spark, rows, tmp_path / "few")
+    labels = spark.createDataFrame([(d, int(d < 11 or 100 <= d < 130)) for d, *_ in rows], "doc_id long, toxic int")
+    for ids, least in (("doc_id < 51", 11), ("doc_id >= 100", 30)):
+        model = toxicity.train(table.where(ids), labels.where(ids))
+        got = {x["doc_id"]: x["rejected"] for x in collect(toxicity.score(table.where(ids), model))}
+        assert sum(got[d] for d in got if d < 11 or 100 <= d < 130) == least
+        assert sum(got[d] for d in got if 11 <= d < 100 or d >= 130) <= 0.06 * len(got)
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------------------------
 
 
