@@ -105,6 +105,19 @@ def test_secret_model_on_held_out(scanner):
     assert p[y == 1].mean() > 0.93 and p[y == 0].mean() < 0.05
 
 
+def test_secret_inside_long_token(scanner):
+    """A key in the middle of a long path is found, every character of a long token is seen, and a clean path is left alone."""
+    r = random.Random(21)
+    for _ in range(20):
+        key = "ghp_" + "".join(r.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKMNPQRSTUVWXYZ23456789") for _ in range(36))
+        path = "see https://example.org/settings/of-the-user-account/%s/repos/all-items-of-user/and-more-of-them/page1 for it"
+        assert any(k == 3 and s <= (path % key).index(key) < e for s, k, e in scanner.scan(path % key)[1])
+        assert all(k != 3 for _, k, _ in scanner.scan(path % "the-things")[1])
+    for n in (16, 48, 49, 72, 73, 500):
+        token = "".join(r.choice("ab12") for _ in range(n))
+        assert {i for s, e in secrets.pieces(token, 0, n) for i in range(s, e)} == set(range(n))
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------------------------------
 
 
