@@ -5,13 +5,16 @@ A language's counts are those of its texts one by one, summed, so the result doe
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators import ngrams as N
 from wordloom.plans.corpus import Corpus
+from wordloom.sources import storage as S
 
 COLUMNS = "language string, ngram string, count bigint, frequency double, log_frequency double, rank int, global_frequency double, global_rank int"
 
@@ -32,7 +35,7 @@ def language_profiles(corpus: Corpus, vocabulary: Vocabulary) -> DataFrame:
     n-grams of each task."""
     counts = N.range_counts(corpus.normalized(), vocabulary.n_from, vocabulary.n_to, ["language"])
     totals = counts.groupBy("language").agg(F.sum("count").alias("total"))  # over the same exchange
-    return N._stats(N.ranked(counts, "language", vocabulary.top).join(F.broadcast(totals), "language"), "language")  # one row a language
+    return N._stats(N.ranked(counts, "language", vocabulary.top).join(totals, "language"), "language")  # one row a language, small enough for Catalyst to broadcast by its size
 
 
 def add_global_statistics(profiles: DataFrame) -> DataFrame:
@@ -44,10 +47,12 @@ def add_global_statistics(profiles: DataFrame) -> DataFrame:
 
 
 def build(corpus: Corpus, vocabulary: Vocabulary) -> DataFrame:
-    """Build a vocabulary of all the corpus' languages in one job; written by language where it has a path."""
+    """Build a vocabulary of all the corpus' languages in one job. Where it has a path it is written there, by language, in a folder of its own beside those of earlier builds, which
+    plans that read them still need; the latest counts."""
     made = add_global_statistics(language_profiles(corpus, vocabulary))
     if vocabulary.path:
-        made.write.mode("overwrite").partitionBy("language").parquet(vocabulary.path)
+        name = f"build-{time.time_ns():020d}-{uuid.uuid4().hex}"
+        made.write.partitionBy("language").parquet(f"{vocabulary.path.rstrip('/')}/{name}")
         return load(made.sparkSession, vocabulary)
     return made
 
@@ -56,12 +61,24 @@ def build_all(corpus: Corpus) -> dict[str, DataFrame]:
     return {v.name: build(corpus, v) for v in corpus.known_vocabularies()}
 
 
-def load(spark, vocabulary: Vocabulary) -> DataFrame:
-    """Read a written vocabulary; a filter on language prunes its partitions."""
+def is_stored(spark: SparkSession, vocabulary: Vocabulary) -> bool:
+    return bool(vocabulary.path and S.folders(spark, vocabulary.path))
+
+
+def load(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """Read the latest finished build of a vocabulary; a filter on language prunes its partitions."""
     if not vocabulary.path:
         raise ValueError(f"vocabulary {vocabulary.name!r} has no path")
+    found = S.folders(spark, vocabulary.path)
+    if not found:
+        raise ValueError(f"vocabulary {vocabulary.name!r} isn't at {vocabulary.path}")
     columns = [c.split()[0] for c in COLUMNS.split(", ")]
-    return spark.read.schema(COLUMNS).parquet(vocabulary.path).select(columns)
+    return spark.read.schema(COLUMNS).parquet(f"{vocabulary.path.rstrip('/')}/{found[-1]}").select(columns)
+
+
+def load_or_build(corpus: Corpus, vocabulary: Vocabulary) -> DataFrame:
+    """The stored vocabulary where there is one, so that a corpus is read once, not by each detector."""
+    return load(corpus.spark, vocabulary) if is_stored(corpus.spark, vocabulary) else build(corpus, vocabulary)
 
 
 def get(vocabulary: DataFrame, language: str) -> DataFrame:

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few dozen bytes that may be broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wordloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting: at most ``limit`` rows; otherwise the join is left to shuffle. ``small`` is cheap to count, so cached or just written."""
+    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` that hold a finished table, in order; none where there is no such path."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [x.getPath() for x in fs.listStatus(at) if x.isDirectory()]
+    return sorted(x.getName() for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a table of fewer splits than cores, which is small, so that what follows occupies them all; others, and what isn't a plain scan, stay as they are."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < plan.execute().getNumPartitions() < cores else df
