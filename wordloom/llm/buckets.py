@@ -178,11 +178,11 @@ def _blocks(near: Callable[[object, object], bool], read: Callable[[bytes], obje
     return run
 
 
-def linked_in_blocks(pairs: DataFrame, items: DataFrame, near: Callable[[object, object], bool], read: Callable[[bytes], object]) -> DataFrame:
+def linked_in_blocks(pairs: DataFrame, items: Callable[[DataFrame], DataFrame], near: Callable[[object, object], bool], read: Callable[[bytes], object]) -> DataFrame:
     """Work table of the verified links of ``pairs``, see ``LINKED``: for each item and block, how many ``members`` its partners have, how many these are, and the root of its tree of links.
 
     Pairs of one neighbourhood (by the least id around the smaller end) are one block, or a square of blocks where they are many, and an item goes once to each block that
-    has a pair of it, not once a pair. ``items``: (id, k1, members, payload). No pair leaves a block.
+    has a pair of it, not once a pair. ``items`` makes rows (id, blocks, k1, members, payload) for a work table (id, blocks). No pair leaves a block.
     """
     ends = pairs.select(F.col("a").alias("node"), F.col("a").alias("low")).union(pairs.select("b", "a")).groupBy("node").agg(F.min("low").alias("label"))
     owned = pairs.join(ends.select(F.col("node").alias("a"), "label"), "a")
@@ -192,9 +192,9 @@ def linked_in_blocks(pairs: DataFrame, items: DataFrame, near: Callable[[object,
     owned = owned.join(C.checked_broadcast(large), "label", "left").withColumn("side", F.coalesce("side", F.lit(1)))
     cell = F.pmod(F.xxhash64("a"), "side") * F.col("side") + F.pmod(F.xxhash64("b"), "side")
     owned = C.work_table(owned.select(F.xxhash64("label", cell).alias("block"), "a", "b"), "owned")
-    needed = owned.select("block", F.col("a").alias("id")).union(owned.select("block", "b")).distinct()
+    needed = owned.select("block", F.col("a").alias("id")).union(owned.select("block", "b")).groupBy("id").agg(F.collect_set("block").alias("blocks"))
     no = lambda kind: F.lit(None).cast(kind)
-    sent = needed.join(items, "id").select("block", F.col("id").alias("a"), no("bigint").alias("b"), "k1", "members", "payload")
+    sent = items(C.work_table(needed, "needed")).select(F.explode("blocks").alias("block"), F.col("id").alias("a"), no("bigint").alias("b"), "k1", "members", "payload")
     rows = sent.union(owned.select("block", "a", "b", no("bigint"), no("bigint"), no("binary")))
     placed = rows.repartition(C.parallelism(pairs.sparkSession), "block").sortWithinPartitions("block", F.col("payload").isNull())
     return C.work_table(C.map_batches(placed, _blocks(near, read), LINKED), "verified")
