@@ -615,6 +615,46 @@ def test_line_dedup(spark, docs, empty, tmp_path):
     assert line_dedup.repeated_lines(docs).count() > 0 and line_dedup.repeated_lines(empty).count() == 0
 
 
+def test_signatures_of_many_lines():
+    """Hashed together or alone; two are equal where the part's content, and the length, place and kind it stands for, are."""
+    r = random.Random(32)
+    lines = ["", " "]
+    for _ in range(40):
+        x = "".join(r.choice("abcd\u00e9 \u3000\U0001f600") for _ in range(r.randint(24, 110)))
+        y = " ".join(r.choice(["aa", "b", "cccc", "\u00e9"]) for _ in range(r.randint(14, 60)))
+        lines += [x, x[:40] + "z" + x[41:], x[:30] + x[31:], y, y + " end", y.replace("aa", "x", 1)]
+    got, of, probes = line_dedup.signatures(lines)
+    want = []
+    for n, x in enumerate(lines):
+        own, other = line_dedup.keys(x)
+        want += [(k, n, 0) for k in own] + [(k, n, 1) for k in other]
+    assert sorted(zip(got.tolist(), of.tolist(), probes.tolist())) == sorted(want)
+    by, parts = {}, {}
+    for k, n, role in want:
+        by.setdefault(k, set()).add((n, role))
+    for n, x in enumerate(lines):
+        words = x.split()
+        for symbols, steps, ok in ((x, line_dedup.STEPS, len(words) <= line_dedup.BOTH), (words, line_dedup.WORD_STEPS, len(words) >= line_dedup.WORDS)):
+            for role, places in enumerate((line_dedup.index_places, line_dedup.probe_places)):
+                for seed, s, e in places(len(symbols), steps) if ok else ():
+                    parts.setdefault((seed, tuple(symbols[s:e])), set()).add((n, role))
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, parts.values()))
+
+
+def test_distance_without_common_ends():
+    r = random.Random(33)
+    for _ in range(2000):
+        a = "".join(r.choice("ab") for _ in range(r.randint(0, 200)))
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            b[(i := r.randint(0, len(b))) : i + r.randint(0, 1)] = r.choice(["", "a", "b", "ab"])
+        b = "".join(b)
+        x, y = line_dedup._trimmed(a, b)
+        k = next((i for i in range(len(a)) if a[i : i + 1] != b[i : i + 1]), min(len(a), len(b)))
+        assert a[:k] == b[:k] and a[k:].startswith(x) and b[k:].startswith(y) and a[k + len(x) :] == b[k + len(y) :]
+        assert not x or not y or x[0] != y[0] and x[-1] != y[-1]
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------------------------------
 
 
