@@ -53,7 +53,7 @@ def _rounded(df: DataFrame, *columns: str, places: int = 9) -> DataFrame:
 
 
 def _doc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(N.profile(T.nfc(_documents(spark, sf_dir)), 2, 4), "frequency", "log_frequency")
+    return _rounded(N.profile(_documents(spark, sf_dir), 2, 4, compose=True), "frequency", "log_frequency")
 
 
 def _vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
