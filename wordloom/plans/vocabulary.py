@@ -31,9 +31,9 @@ class Vocabulary:
 
 
 def language_profiles(corpus: Corpus, vocabulary: Vocabulary) -> DataFrame:
-    """(language, ngram, count, frequency, log_frequency, rank), the first ``top`` ranks. Map-side combine makes the shuffle as small as the languages' distinct
+    """(language, ngram, count, frequency, log_frequency, rank), the first ``top`` ranks. Tasks count in arrays, so the shuffle is as small as the languages' distinct
     n-grams of each task."""
-    counts = N.range_counts(corpus.normalized(), vocabulary.n_from, vocabulary.n_to, ["language"])
+    counts = N.range_counts(corpus.normalized(compose=False), vocabulary.n_from, vocabulary.n_to, ["language"], compose=True)
     totals = counts.groupBy("language").agg(F.sum("count").alias("total"))  # over the same exchange
     return N._stats(N.ranked(counts, "language", vocabulary.top).join(totals, "language"), "language")  # one row a language, small enough for Catalyst to broadcast by its size
 
@@ -86,8 +86,9 @@ def get(vocabulary: DataFrame, language: str) -> DataFrame:
 
 
 def top_n(vocabulary: DataFrame, language: str, n: int = N.TOP) -> DataFrame:
-    """The n most frequent n-grams of a language; a language that isn't there is an error."""
-    own = get(vocabulary, language)
-    if own.isEmpty():
+    """The n most frequent n-grams of a language; a language that isn't there is an error. What is looked into for that is kept, so the vocabulary is made once."""
+    found = get(vocabulary, language).orderBy("rank").limit(max(n, 1)).cache()
+    if found.isEmpty():
+        found.unpersist()
         raise KeyError(language)
-    return own.orderBy("rank").limit(n)
+    return found.orderBy("rank").limit(n)
